@@ -281,7 +281,7 @@ def schema_changes(files: DataFrame, lines: DataFrame, rules: DriftRules = Drift
 
 
 def unified_feed(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRules(), rejects: RejectRules = RejectRules()) -> DataFrame:
-    """line_id, file_id, feed, and the fields of CONCEPTS, other fields in a map: every line that loads, in one table.
+    """line_id, file_id, feed, the fields of CONCEPTS, and other fields as pairs of key and value: every line that loads, in one table.
 
     The scripts are compiled by following each field back to the first file in which its channel carried it; that
     origin's meaning names the target column. The chains are shortened by pointer doubling, so a channel of n files
@@ -304,5 +304,5 @@ def unified_feed(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRu
     rows = loadable_lines(files, lines, rejects).join(plan, "file_id")
     named = rows.withColumn("cells", F.transform("values", lambda v, i: F.struct(F.try_element_at("plan", i).alias("key"), v.alias("value"))))
     pick = lambda c: F.get(F.filter("cells", lambda x: x["key"] == c), F.lit(0))["value"]
-    rest = F.map_from_arrays(*[F.transform(F.filter("cells", lambda x: ~x["key"].isin(*CONCEPTS)), lambda x, part=part: x[part]) for part in ("key", "value")])
+    rest = F.filter("cells", lambda x: F.coalesce(~x["key"].isin(*CONCEPTS), F.lit(True)))
     return named.select("line_id", "file_id", "feed", *[pick(c).alias(c) for c in CONCEPTS], rest.alias("other"))
