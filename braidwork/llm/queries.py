@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from braidwork.llm.encode import decode_corpus, encode_corpus
+from braidwork.llm.leakage import leaked_items
+from braidwork.llm.readability import reading_levels
 from braidwork.session import cut, read_table
 
 
@@ -16,7 +18,15 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(cut(encode_corpus(read_table(spark, d, "documents"))))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_text": p8_text}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "level_labels")).select("doc_id", "level")
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_text": p8_text, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
