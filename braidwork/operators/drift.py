@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.calendar import is_calendar_day, to_int
 from braidwork.operators.rejects import RejectRules, feed_headers, loadable_lines
-from braidwork.session import cut
+from braidwork.session import cut, map_batches
 
 # Header keys (lower case, letters and digits only) that customer feeds use for one and the same field.
 CONCEPTS = {
@@ -266,7 +266,7 @@ def schema_scripts(files: DataFrame, lines: DataFrame, rules: DriftRules = Drift
                 rows += [(r.file_id, r.before, *step) for step in edit_script(old, new, rules)[1]]
             yield pd.DataFrame(rows, columns=["file_id", "before", "change_kind", "old_name", "new_name"])
 
-    return pairs.select("file_id", "before", "header", "facts", "header0", "facts0").mapInPandas(scripts, "file_id bigint, before bigint, change_kind string, old_name string, new_name string")
+    return pairs.select("file_id", "before", "header", "facts", "header0", "facts0").transform(map_batches, scripts, "file_id bigint, before bigint, change_kind string, old_name string, new_name string")
 
 
 def schema_changes(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRules(), rejects: RejectRules = RejectRules()) -> DataFrame:
