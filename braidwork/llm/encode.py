@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import map_batches
+
 #: Public pre-token pattern of the byte-level vocabularies, with Unicode classes as its authors' engine has them.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -67,7 +69,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"word": b["word"], "ids": [enc.encode_ordinary(w) for w in b["word"]]})
 
-    return words.select("word").mapInPandas(run, "word string, ids array<int>")
+    return words.select("word").transform(map_batches, run, "word string, ids array<int>")
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: EncodeRules = EncodeRules()) -> DataFrame:

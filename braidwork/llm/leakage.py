@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import map_batches
+
 
 @dataclass(frozen=True)
 class LeakRules:
@@ -109,6 +111,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules
                 out.append((d, i, longest, matched, len(iw)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run", "matched", "item_words"])
 
-    scored = told.select("doc_id", "item_id", "doc_words", "item_words").mapInPandas(run, "doc_id bigint, item_id bigint, run int, matched int, item_words int")
+    scored = told.select("doc_id", "item_id", "doc_words", "item_words").transform(map_batches, run, "doc_id bigint, item_id bigint, run int, matched int, item_words int")
     case = (F.col("run") >= F.least(F.lit(rules.run), F.col("item_words"))) | ((F.col("matched") >= rules.share * F.col("item_words")) & (F.col("item_words") >= rules.run))
     return scored.where(case).dropDuplicates(["doc_id", "item_id"])

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import map_batches
+
 # Frequent function words, by which English is told from the other languages of the corpus.
 ENGLISH = frozenset("the of and to a in is that it for was on are with as be at by this had not but have from or which were one so when then only can we he she before after until has its an will no".split())
 FOREIGN = frozenset("der die das und ist für nicht ein eine mit auf den im von wird dem sich le la les des est et un une dans pour que qui el los las una por con del se es en si ou au aux du il ne pas sur ya y su".split())
@@ -205,7 +207,7 @@ def fit_levels(docs: DataFrame, labels: DataFrame, rules: LevelRules = LevelRule
     got = docs.where("text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"])
     got = got.withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(rules.folds)).cast("int")).persist()
     try:
-        counts = got.select("text", "rating", "fold").mapInPandas(_word_ratings, "word string, rating double, fold int").groupBy("word").agg(
+        counts = got.select("text", "rating", "fold").transform(map_batches, _word_ratings, "word string, rating double, fold int").groupBy("word").agg(
             F.sum("rating").alias("s"), F.count(F.lit(1)).alias("k"), *[F.sum(F.when(F.col("fold") == i, F.col("rating")).otherwise(0.0)).alias(f"s{i}") for i in range(rules.folds)],
             *[F.count_if(F.col("fold") == i).alias(f"k{i}") for i in range(rules.folds)],
         )
@@ -219,7 +221,7 @@ def fit_levels(docs: DataFrame, labels: DataFrame, rules: LevelRules = LevelRule
                 x = [features(t, sentences(t), others[f]) for t, f in zip(b["text"], b["fold"])]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "fold": b["fold"], "rating": b["rating"], "x": x})
 
-        rows = got.select("doc_id", "text", "fold", "rating").mapInPandas(vectors, "doc_id bigint, fold int, rating double, x array<double>").toPandas()
+        rows = got.select("doc_id", "text", "fold", "rating").transform(map_batches, vectors, "doc_id bigint, fold int, rating double, x array<double>").toPandas()
     finally:
         got.unpersist()
     if not len(rows):
@@ -262,4 +264,4 @@ def reading_levels(docs: DataFrame, labels: DataFrame, rules: LevelRules = Level
                 score, level = np.full(len(ids), (lo + hi) / 2), np.full(len(ids), (lo + hi) // 2)
             yield pd.DataFrame({"doc_id": ids, "level": np.asarray(level, dtype="int32"), "score": np.asarray(score, dtype="float64")})
 
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, level int, score double")
+    return docs.where("text is not null").select("doc_id", "text").transform(map_batches, run, "doc_id bigint, level int, score double")
