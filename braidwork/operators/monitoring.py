@@ -40,7 +40,7 @@ def shares(df: DataFrame, by: str, value: str) -> DataFrame:
     """calls, total, mean, min, max and the share of the grand total, by group; the totals are summed from the groups."""
     d = df.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("mean_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
     whole = d.agg(F.sum("total").alias("whole"))
-    return d.join(F.broadcast(whole)).withColumn("share", 100.0 * F.col("total") / F.col("whole")).drop("whole")
+    return d.join(F.broadcast(whole)).withColumn("share", F.try_divide(100.0 * F.col("total"), F.col("whole"))).drop("whole")
 
 
 def bottleneck(io: Column, cpu: Column, memory_mb: Column) -> Column:

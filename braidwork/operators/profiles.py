@@ -36,14 +36,14 @@ def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
-    return _per_column(df, columns, {"total": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(c.isNull()), "null_percent": lambda c: 100.0 * F.count_if(c.isNull()) / F.count(F.lit(1))})
+    return _per_column(df, columns, {"total": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(c.isNull()), "null_percent": lambda c: F.try_divide(100.0 * F.count_if(c.isNull()), F.count(F.lit(1)))})
 
 
 def completeness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Share of cells that hold a value, in percent."""
     columns = columns or df.columns
     nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in columns[1:]), F.count_if(F.col(f"`{columns[0]}`").isNull()))
-    return df.agg(nulls.alias("null_cells"), (F.count(F.lit(1)) * len(columns)).alias("cells")).select("null_cells", "cells", (100.0 - 100.0 * F.col("null_cells") / F.col("cells")).alias("completeness"))
+    return df.agg(nulls.alias("null_cells"), (F.count(F.lit(1)) * len(columns)).alias("cells")).select("null_cells", "cells", (100.0 - F.try_divide(100.0 * F.col("null_cells"), F.col("cells"))).alias("completeness"))
 
 
 def quality_score(issues: Column, header_consistency: Column, inconsistent_columns: Column) -> Column:
@@ -53,7 +53,7 @@ def quality_score(issues: Column, header_consistency: Column, inconsistent_colum
 def potential_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Uniqueness of each column over all rows, and its class: over 0.95 a primary key, else by name a foreign key, else none."""
     columns = columns or df.columns
-    d = _per_column(df, columns, {"uniqueness": lambda c: F.count_distinct(c) / F.count(F.lit(1))})
+    d = _per_column(df, columns, {"uniqueness": lambda c: F.try_divide(F.count_distinct(c), F.count(F.lit(1)))})
     named = F.lower("column_name").rlike("id|key|ref")
     return d.withColumn("key_class", F.when(F.col("uniqueness") > 0.95, "primary_key_candidate").when(named, "foreign_key_candidate").otherwise("none"))
 
@@ -87,7 +87,7 @@ def column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     counts = label_counts(df, columns)
     n = unpivoted(df, columns).groupBy("column_name").agg(F.count("value").alias("n"))
     top = counts.groupBy("column_name").agg(F.min_by(F.struct("label", "uses"), F.struct(-F.col("uses"), F.col("label"))).alias("t"))
-    return top.join(n, "column_name").select("column_name", F.col("t.label").alias("primary_type"), (F.col("t.uses") / F.col("n")).alias("consistency"))
+    return top.join(n, "column_name").select("column_name", F.col("t.label").alias("primary_type"), F.try_divide(F.col("t.uses"), F.col("n")).alias("consistency"))
 
 
 def pattern_semantics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def header_consistency(headers: DataFrame) -> DataFrame:
     d = headers.select(header_pattern(F.col("header")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
     place = F.array_position(F.array(*[F.lit(p) for p in PATTERNS]), F.col("pattern"))
     best = d.agg(F.max_by("pattern", F.struct("uses", -place)).alias("dominant"), F.max("uses").alias("most"), F.sum("uses").alias("total"))
-    return d.join(F.broadcast(best)).select("pattern", "uses", (F.col("pattern") == F.col("dominant")).alias("dominant"), (F.col("most") / F.col("total")).alias("consistency"))
+    return d.join(F.broadcast(best)).select("pattern", "uses", (F.col("pattern") == F.col("dominant")).alias("dominant"), F.try_divide(F.col("most"), F.col("total")).alias("consistency"))
 
 
 def header_mapping(df: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ def validation_buckets(spark, d):
     return x.groupBy("level", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LOG = "SELECT event_id, ts AS at, user_id AS mapping_id, 'f' || (user_id % 20) AS source_field, 't' || (user_id % 7) AS target_field, CASE event_type WHEN 'purchase' THEN 'corrected' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'pending' ELSE 'approved' END AS status FROM events"
+_LOG = "SELECT event_id, ts AS event_at, user_id AS mapping_id, 'f' || (user_id % 20) AS source_field, 't' || (user_id % 7) AS target_field, CASE event_type WHEN 'purchase' THEN 'corrected' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'pending' ELSE 'approved' END AS status FROM events"
 
 
 def _log(spark, d):
@@ -459,12 +459,12 @@ def feedback_accuracy(spark, d):
     return V.retrained(read_table(spark, d, "events").select(F.col("event_type").alias("pair"), (F.col("value") > 50).alias("correct"))).withColumn("weight", r("weight"))
 
 
-@query(f"WITH l AS (SELECT mapping_id, arg_max(status, row(at, event_id)) AS status FROM ({_LOG}) GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'pending') AS reviewed, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'corrected') AS corrected, round(100.0 * count(*) FILTER (WHERE status <> 'pending') / count(*), 6)::DOUBLE AS percent FROM l")
+@query(f"WITH l AS (SELECT mapping_id, arg_max(status, row(event_at, event_id)) AS status FROM ({_LOG}) GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'pending') AS reviewed, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'corrected') AS corrected, round(100.0 * count(*) FILTER (WHERE status <> 'pending') / count(*), 6)::DOUBLE AS percent FROM l")
 def validation_progress(spark, d):
     return V.progress(V.latest_status(_log(spark, d))).withColumn("percent", r("percent"))
 
 
-@query(f"WITH l AS (SELECT mapping_id, arg_max(status, row(at, event_id)) AS status FROM ({_LOG}) GROUP BY 1) SELECT mapping_id FROM l WHERE status = 'pending' ORDER BY mapping_id LIMIT 5")
+@query(f"WITH l AS (SELECT mapping_id, arg_max(status, row(event_at, event_id)) AS status FROM ({_LOG}) GROUP BY 1) SELECT mapping_id FROM l WHERE status = 'pending' ORDER BY mapping_id LIMIT 5")
 def next_for_review(spark, d):
     x = V.latest_status(_log(spark, d)).withColumn("confidence", F.lit(0.5))
     return V.next_for_review(x, 5).select("mapping_id")
