@@ -186,7 +186,7 @@ def semantic_type_by_name(spark, d):
     return _headers(spark).select("header", N.semantic_type(h).alias("v1"), N.semantic_type(h, "v2").alias("v2"))
 
 
-@query("SELECT 'ContactEmail' AS column_name, count(*) AS n_values, count(*) FILTER (WHERE regexp_matches(ContactEmail, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS n_email, 'email' AS semantic FROM customers_v2 WHERE ContactEmail IS NOT NULL")
+@query("SELECT *, CASE WHEN n_email > 0.8 * n_values THEN 'email' ELSE 'general' END AS semantic FROM (SELECT 'ContactEmail' AS column_name, count(*) AS n_values, count(*) FILTER (WHERE regexp_matches(ContactEmail, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS n_email FROM customers_v2 WHERE ContactEmail IS NOT NULL)")
 def semantic_type_by_pattern(spark, d):
     return P.pattern_semantics(read_table(spark, d, "customers_v2"), ["ContactEmail"]).select("column_name", "n_values", "n_email", "semantic")
 
