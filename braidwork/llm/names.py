@@ -111,7 +111,9 @@ def parse(text: str | None) -> tuple[str, str, str, tuple[str, ...]]:
     parts = [[w for w in part if w.rstrip(".") not in TITLES] for part in words]
     parts = [p for p in parts if p]
     if not parts:
-        return ("absent", "", "", ())
+        # other scripts are one word each; a name without any letter is none
+        own = "".join(ch for ch in t if ch.isalpha())
+        return ("person", own, "", ()) if own and not flat else ("absent", "", "", ())
     if len(parts) >= 2:
         family_part, given_part = parts[0], parts[1]
         family = max((w.rstrip(".") for w in family_part), key=len)
