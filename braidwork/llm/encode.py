@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import map_batches
+from braidwork.session import cut, map_batches
 
 #: Public pre-token pattern of the byte-level vocabularies, with Unicode classes as its authors' engine has them.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,7 +80,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has a row for each. An empty table gives no rows; extra columns are ignored.
     """
     words = _words(docs, id_col, text_col)
-    uses = words.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    uses = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("uses")))
     total = uses.agg(F.sum("uses")).first()[0] or 0
     least_hot = max(1.0, total * rules.hot_share)
     book = encode_words(uses, rules.vocabulary)
