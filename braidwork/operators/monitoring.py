@@ -8,6 +8,8 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.session import cut
+
 
 def percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
     """avg, min, max and exact p50, p95, p99 (linear between ranks) by group."""
@@ -49,7 +51,8 @@ def bottleneck(io: Column, cpu: Column, memory_mb: Column) -> Column:
 
 def chunked(df: DataFrame, order: str, rows: int) -> DataFrame:
     """Adds chunk, of rows each by order. Places are counted per range of the order and shifted by the ranges before, so no single task sorts the table."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    # kept in the shared folder: computed twice, the sampled ranges could differ
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     sizes = ranged.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,10 +310,10 @@ def block_stats(spark, d):
     return E.block_summary(E.keyed(p, "p_partkey", keys), 1000).select("blocks", "smallest", "largest", r("mean_size"), "candidate_pairs")
 
 
-@query("SELECT DISTINCT a.p_partkey AS id1, b.p_partkey AS id2 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+@query("SELECT DISTINCT a.p_partkey AS id1, b.p_partkey AS id2 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def candidate_pairs(spark, d):
     p = read_table(spark, d, "part")
-    return E.candidate_pairs(E.keyed(p, "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand"))))
+    return E.candidate_pairs(E.keyed(p, "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_type", "p_size"))))
 
 
 def _name_pairs(spark, d):
@@ -350,12 +350,12 @@ def phonetic_codes(spark, d):
     return read_table(spark, d, "part").select("p_name", S.phonetic_code(F.col("p_name")).alias("code")).distinct()
 
 
-@query("""WITH p AS (SELECT a.o_orderkey AS id1, b.o_orderkey AS id2, a.o_totalprice AS x, b.o_totalprice AS y, abs(date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) AS g FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
- SELECT id1, id2, round(CASE WHEN x = y THEN 1.0 WHEN abs(x - y) / greatest(abs(x), abs(y)) <= 0.01 THEN 1 - abs(x - y) / greatest(abs(x), abs(y)) ELSE 0.0 END, 6)::DOUBLE AS price_score, round(CASE WHEN g <= 30 THEN 1 - g / 30 ELSE 0.0 END, 6)::DOUBLE AS date_score FROM p""")
+@query("""WITH p AS (SELECT lag(o_orderkey) OVER w AS id1, o_orderkey AS id2, lag(o_totalprice) OVER w AS x, o_totalprice AS y, abs(date_diff('day', lag(o_orderdate) OVER w, o_orderdate)) AS g FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+ SELECT id1, id2, round(CASE WHEN x = y THEN 1.0 WHEN abs(x - y) / greatest(abs(x), abs(y)) <= 0.01 THEN 1 - abs(x - y) / greatest(abs(x), abs(y)) ELSE 0.0 END, 6)::DOUBLE AS price_score, round(CASE WHEN g <= 30 THEN 1 - g / 30 ELSE 0.0 END, 6)::DOUBLE AS date_score FROM p WHERE id1 IS NOT NULL""")
 def numeric_date_similarity(spark, d):
-    o = read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    a, b = o.toDF("k", "id1", "x", "dx"), o.toDF("k", "id2", "y", "dy")
-    return a.join(b, "k").where("id1 < id2").select("id1", "id2", r(S.numeric(F.col("x"), F.col("y")), "price_score"), r(S.dates(F.col("dx"), F.col("dy")), "date_score"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = read_table(spark, d, "orders").select(F.lag("o_orderkey").over(w).alias("id1"), F.col("o_orderkey").alias("id2"), F.lag("o_totalprice").over(w).alias("x"), F.col("o_totalprice").alias("y"), F.lag("o_orderdate").over(w).alias("dx"), F.col("o_orderdate").alias("dy"))
+    return o.where("id1 is not null").select("id1", "id2", r(S.numeric(F.col("x"), F.col("y")), "price_score"), r(S.dates(F.col("dx"), F.col("dy")), "date_score"))
 
 
 _ENT = (("a", "John Smith", "12 Main St", "5551234", "x@y.z", "1"), ("b", "Jon Smith", "12 Main St", "5551234", "x@y.z", "1"), ("c", "Mary Poe", "9 Low Rd", "5559999", "m@p.q", "2"))
@@ -642,18 +642,19 @@ def confidence_histogram(spark, d):
     return rows(spark, "s string, t string, confidence double", *_VAL).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a.p_partkey AS id1, b.p_partkey AS id2, lower(left(a.p_name, 3)) || '_' || lower(left(a.p_brand, 3)) AS block FROM part a JOIN part b ON lower(trim(a.p_name)) = lower(trim(b.p_name)) AND lower(trim(a.p_brand)) = lower(trim(b.p_brand)) AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
-def exact_match_pairs(spark, d):
-    p = read_table(spark, d, "part")
-    k = lambda i: p.select(F.col("p_partkey").alias(i), F.lower(F.trim("p_name")).alias("n"), F.lower(F.trim("p_brand")).alias("b"), "p_size", E.prefix_key([F.col("p_name"), F.col("p_brand")]).alias(f"block_{i}"))
-    x = k("id1").join(k("id2"), ["n", "b", "p_size"]).where("id1 < id2")
-    return x.select("id1", "id2", F.col("block_id1").alias("block"))
+@query("""WITH p AS (SELECT p_partkey, lower(left(p_name, 3)) || '_' || lower(left(p_brand, 3)) AS block, lower(trim(p_name)) AS n, lower(trim(p_brand)) AS b, p_size FROM part)
+ SELECT p_partkey AS id, min(p_partkey) OVER w AS first_id, block, count(*) OVER w AS copies FROM p WINDOW w AS (PARTITION BY n, b, p_size)""")
+def exact_match_classes(spark, d):
+    """A row per record with the first of its class of equal records; the pairs of a class are not formed."""
+    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(F.trim("p_name")).alias("n"), F.lower(F.trim("p_brand")).alias("b"), "p_size", E.prefix_key([F.col("p_name"), F.col("p_brand")]).alias("block"))
+    classes = p.groupBy("n", "b", "p_size").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return p.join(classes, ["n", "b", "p_size"]).select("id", "first_id", "block", "copies")
 
 
 @query()
 def er_pipeline(spark, d):
     p = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size")
-    pairs = E.candidate_pairs(E.keyed(p, "id", F.array(F.concat_ws("|", "p_brand", "p_size", F.substring("p_type", 1, 3)))))
+    pairs = E.candidate_pairs(E.keyed(p, "id", F.array(F.concat_ws("|", "p_brand", "p_size", "p_type", F.substring("p_name", 1, 2)))))
     a, b = p.select(F.col("id").alias("id1"), F.col("p_name").alias("n1")), p.select(F.col("id").alias("id2"), F.col("p_name").alias("n2"))
     scored = pairs.join(a, "id1").join(b, "id2").where(E.name_score(F.col("n1"), F.col("n2"), with_jaro=False) >= 0.7)
     return E.components(p.select("id"), scored.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
