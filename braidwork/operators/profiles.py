@@ -17,13 +17,20 @@ def _per_column(df: DataFrame, columns: list[str], facts: dict[str, callable]) -
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Nulls, distinct values, min, max, mean, median and sample deviation of numeric columns, as doubles."""
+    """Nulls, distinct values, min, max, mean, median and sample deviation of numeric columns, as doubles.
+
+    Moments come from one pass; distinct values and median from the counts of each column's values, which combine before
+    the shuffle. Counting several columns' distinct values in one aggregation would copy every row for each of them.
+    """
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     d = lambda c: c.cast("double")
-    return _per_column(df, columns, {
-        "nulls": lambda c: F.count_if(c.isNull()), "distinct_values": lambda c: F.count_distinct(c), "min_value": lambda c: F.min(d(c)), "max_value": lambda c: F.max(d(c)),
-        "mean_value": lambda c: F.avg(d(c)), "median_value": lambda c: F.percentile(d(c), F.lit(0.5)), "std_value": lambda c: F.stddev_samp(d(c)),
-    })
+    moments = _per_column(df, columns, {"nulls": lambda c: F.count_if(c.isNull()), "min_value": lambda c: F.min(d(c)), "max_value": lambda c: F.max(d(c)), "mean_value": lambda c: F.avg(d(c)), "std_value": lambda c: F.stddev_samp(d(c))})
+    whole = lambda c: F.col(f"`{c}`").cast("bigint") if isinstance(df.schema[c].dataType, T.IntegralType) else F.lit(None).cast("bigint")
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), whole(c).alias("whole"), d(F.col(f"`{c}`")).alias("v")) for c in columns])
+    counts = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").groupBy("column_name", "whole", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranks = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"), F.percentile("v", F.lit(0.5), F.col("n")).alias("median_value"))
+    out = moments.join(ranks, "column_name", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return out.select("column_name", "nulls", "distinct_values", "min_value", "max_value", "mean_value", "median_value", "std_value")
 
 
 def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
