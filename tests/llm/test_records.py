@@ -4,7 +4,7 @@ import random
 import numpy as np
 from conftest import DATA
 
-from braidwork.llm.linkage import REGISTERS, LinkRules, candidate_pairs, customer_records, linked_records, solve
+from braidwork.llm.linkage import REGISTERS, LinkRules, block_rows, candidate_pairs, customer_records, linked_records, score_pairs, scored_candidates, solve
 from braidwork.llm.names import edit_distance, given_agree, is_absent, name_agree, parse
 from braidwork.llm.spellings import SpellingRules, customer_spaces, radius_pairs, variant_spellings
 from braidwork.llm.survivors import survivors
@@ -84,6 +84,24 @@ def test_hot_key_keeps_its_matches(spark):
     assert {(f"1:{i}", f"2:{i}") for i in range(1, n + 1)} <= pairs and len(pairs) < n * n / 2
 
 
+def test_hot_keys_against_unblocked_scoring(spark):
+    n = 40
+    day = lambda i, k: f"20{10 + i // 4:02d}-{1 + 3 * (i % 4):02d}-{5 + k:02d}"
+    v1 = [(i, f"C{i}", "Anna Meyer", f"anna{chr(97 + i % 26)}{chr(97 + i // 26)}meyer@x.example", day(i, 0), "A") for i in range(n)]
+    # a letter dropped and the date unreadable; no address and three days off; another name at a shared address in the same month
+    v2 = [(1000 + i, i, "Anna Meyer", v1[i][3].replace("meyer", "meyr"), "soon", "A") for i in range(0, n, 2)]
+    v2 += [(1000 + i, i, "Anna Meyer", None, day(i, 3), "A") for i in range(1, n, 2)]
+    v3 = [(2000 + i, f"T{i}", "Zoe Quux" if i % 3 else "Anna Meyer", v1[i][3] if i % 2 else "all@x.example", day(i, 9), True) for i in range(n)]
+    rec = customer_records(registers(spark, v1, v2, v3)).cache()
+    keys = block_rows(rec).select("customer", "register", "key").distinct()
+    other = keys.toDF("b", "rb", "key")
+    all_pairs = keys.withColumnRenamed("customer", "a").join(other, "key").where("register < rb").select("a", "b").distinct()
+    want = {(r["a"], r["b"]): r["odds"] for r in score_pairs(all_pairs, rec).where("odds >= 0").collect()}
+    got = {(r["a"], r["b"]): r["odds"] for r in scored_candidates(rec, LinkRules(hot=10)).collect()}
+    assert len(want) > 2 * n and {k: got.get(k) for k in want} == want
+    assert {(f"1:{i}", f"2:{i}") for i in range(n)} <= set(got)
+
+
 def test_survivors_against_brute_force(spark):
     t = {k: spark.read.parquet(f"{DATA}/sf0.01/{k}.parquet") for k in REGISTERS}
     got = {(r["src_table"], r["rec_id"]) for r in survivors(t).collect()}
