@@ -358,6 +358,24 @@ def numeric_date_similarity(spark, d):
     return o.where("id1 is not null").select("id1", "id2", r(S.numeric(F.col("x"), F.col("y")), "price_score"), r(S.dates(F.col("dx"), F.col("dy")), "date_score"))
 
 
+@query("""WITH p AS (SELECT a.o_orderkey AS id1, b.o_orderkey AS id2, a.o_totalprice AS x, b.o_totalprice AS y, abs(date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) AS g FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey),
+ s AS (SELECT id1, id2, round(CASE WHEN x = y THEN 1.0 WHEN abs(x - y) / greatest(abs(x), abs(y)) <= 0.01 THEN 1 - abs(x - y) / greatest(abs(x), abs(y)) ELSE 0.0 END, 6)::DOUBLE AS price_score, round(CASE WHEN g <= 30 THEN 1 - g / 30 ELSE 0.0 END, 6)::DOUBLE AS date_score FROM p) SELECT * FROM s WHERE price_score > 0 OR date_score > 0""")
+def numeric_date_pairs(spark, d):
+    """All pairs of a customer's orders with a score above 0, not the consecutive ones only; pairs of two zeros are not formed."""
+    o = read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    price = F.col("o_totalprice").cast("double")
+    # prices within 1 % lie within 0.01006 of each other by logarithm, so in one bucket or in neighbours; 0 equals 0 only
+    log_price = F.when(price == 0, F.lit(0)).otherwise(F.floor(F.ln(F.abs(price)) / 0.0102)).cast("bigint")
+    sides = F.array(F.struct(F.lit("d").alias("kind"), F.floor(day / 30).cast("bigint").alias("at")), F.struct(F.when(price == 0, "z").otherwise("p").alias("kind"), log_price.alias("at")))
+    keyed = o.withColumn("s", F.explode(sides)).select("*", "s.kind", "s.at").drop("s")
+    a = keyed.toDF("k", "id1", "x", "dx", "kind", "at")
+    b = keyed.withColumn("at", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).toDF("k", "id2", "y", "dy", "kind", "at")
+    scored = a.join(b, ["k", "kind", "at"]).where("id1 < id2").select("id1", "id2", "kind", r(S.numeric(F.col("x"), F.col("y")), "price_score"), r(S.dates(F.col("dx"), F.col("dy")), "date_score"))
+    # a pair that both ways find comes from the way by date
+    return scored.where((F.col("kind") == "d") & (F.col("date_score") > 0) | (F.col("kind") != "d") & (F.col("price_score") > 0) & (F.col("date_score") == 0)).drop("kind")
+
+
 _ENT = (("a", "John Smith", "12 Main St", "5551234", "x@y.z", "1"), ("b", "Jon Smith", "12 Main St", "5551234", "x@y.z", "1"), ("c", "Mary Poe", "9 Low Rd", "5559999", "m@p.q", "2"))
 
 
