@@ -59,6 +59,33 @@ def candidate_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.withColumnRenamed("id", "id1").join(other, "block").where("id1 < id2").select("id1", "id2").distinct()
 
 
+def salted_pairs(blocks: DataFrame, part: int = 500) -> DataFrame:
+    """id1 < id2 of records that share a block, as candidate_pairs, however large a block is.
+
+    A block's records are cut into parts by hash and each two parts are joined under a key of their own, so no key holds
+    more than two parts; every pair is still formed.
+    """
+    sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    b = blocks.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = b.select("id", "block", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = b.toDF("id1", "block", "own1", "lo", "hi"), b.toDF("id2", "block", "own2", "lo", "hi")
+    return x.join(y, ["block", "lo", "hi"]).where("id1 < id2 and (lo = hi or own1 <> own2)").select("id1", "id2").distinct()
+
+
+def class_pairs(records: DataFrame, id_col: str, keys: Column) -> DataFrame:
+    """class1, class2, pairs: the candidate pairs of records, folded to classes of equal sets of keys.
+
+    A class is named by its least id. class1 = class2 stands for the pairs inside a class. Records without keys have none.
+    """
+    held = records.select(F.col(id_col).alias("id"), F.array_sort(keys).alias("keys")).where(F.size("keys") > 0)
+    classes = cut(held.groupBy("keys").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    n = classes.select("id", "n")
+    across = salted_pairs(classes.select("id", F.explode("keys").alias("block"))).join(n.toDF("id1", "n1"), "id1").join(n.toDF("id2", "n2"), "id2")
+    across = across.select(F.col("id1").alias("class1"), F.col("id2").alias("class2"), (F.col("n1") * F.col("n2")).alias("pairs"))
+    return across.unionByName(n.where("n > 1").select(F.col("id").alias("class1"), F.col("id").alias("class2"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs")))
+
+
 def name_score(a: Column, b: Column, with_jaro: bool = True) -> Column:
     parts = [S.levenshtein(a, b), S.token_jaccard(a, b)] + ([S.jaro_winkler(a, b)] if with_jaro else [])
     return F.greatest(*parts)

@@ -297,9 +297,12 @@ def mapping_confidence(spark, d):
     return x.select("source_field", "target_field", r(M.mapping_confidence(F.col("source_field"), F.col("target_field"), F.col("t")), "confidence"))
 
 
+def _part_keys():
+    return E.blocking_keys({"p_name": F.col("p_name"), "p_brand": F.col("p_brand")}, {"p_size": F.col("p_size")})
+
+
 def _part_blocks(spark, d):
-    p = read_table(spark, d, "part")
-    return E.keyed(p, "p_partkey", E.blocking_keys({"p_name": F.col("p_name"), "p_brand": F.col("p_brand")}, {"p_size": F.col("p_size")}))
+    return E.keyed(read_table(spark, d, "part"), "p_partkey", _part_keys())
 
 
 @query("""WITH b AS (SELECT p_partkey AS id, unnest(list_distinct(['n:' || left(lower(p_name), 3), 'b:' || left(lower(p_brand), 3), 'both:' || left(lower(p_name), 3) || left(lower(p_brand), 3)])) AS k FROM part),
@@ -316,6 +319,13 @@ def candidate_pairs(spark, d):
     return E.candidate_pairs(E.keyed(p, "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_type", "p_size"))))
 
 
+@query()
+def candidate_class_pairs(spark, d):
+    """The pairs of all surveyed keys, which candidate_pairs cuts to equal records: classes of equal keys and their pairs."""
+    p = read_table(spark, d, "part")
+    return E.class_pairs(p, "p_partkey", _part_keys())
+
+
 def _name_pairs(spark, d):
     n = read_table(spark, d, "part").select("p_name").distinct()
     k = lambda side: n.select(F.col("p_name").alias(side), F.substring("p_name", 1, 2).alias("k"))
@@ -671,11 +681,15 @@ def exact_match_classes(spark, d):
 
 @query()
 def er_pipeline(spark, d):
-    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size")
-    pairs = E.candidate_pairs(E.keyed(p, "id", F.array(F.concat_ws("|", "p_brand", "p_size", "p_type", F.substring("p_name", 1, 2)))))
-    a, b = p.select(F.col("id").alias("id1"), F.col("p_name").alias("n1")), p.select(F.col("id").alias("id2"), F.col("p_name").alias("n2"))
+    """Links by name within the surveyed keys. The score sees names only, so records of one name are one class, and pairs are those of names."""
+    p, blocks = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), _part_blocks(spark, d)
+    names = p.where("p_name <> ''").groupBy("p_name").agg(F.min("id").alias("first"))
+    named = p.join(names, "p_name").select("id", "first")
+    pairs = E.salted_pairs(blocks.join(named, "id").select(F.col("first").alias("id"), "block").distinct())
+    a, b = names.toDF("n1", "id1"), names.toDF("n2", "id2")
     scored = pairs.join(a, "id1").join(b, "id2").where(E.name_score(F.col("n1"), F.col("n2"), with_jaro=False) >= 0.7)
-    return E.components(p.select("id"), scored.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    same = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return E.components(p.select("id"), scored.select(F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(same))
 
 
 @query("SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, typeof(any_value({c})) AS data_type FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ")")

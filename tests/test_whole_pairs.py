@@ -3,6 +3,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from braidwork.operators import entities as E
+from braidwork.plans import reference_queries as R
 from braidwork.plans.reference_queries import QUERIES
 
 
@@ -25,3 +29,31 @@ def test_orders_of_a_customer_that_are_not_consecutive(spark, tmp_path):
     assert len(out) == len(got) and got == want
     consecutive = {(r["id1"], r["id2"]) for r in QUERIES["numeric_date_similarity"](spark, str(tmp_path)).collect()}
     assert want.keys() - consecutive
+
+
+def test_candidates_and_links_of_all_surveyed_keys(spark, tmp_path):
+    rnd = random.Random(6)
+    names = ["red bolt", "bolt red", "red bolts", "xed bolt", "old gear", "zq", "", None]
+    data = [(i, rnd.choice(names), rnd.choice(["Brand#1", "Brand#2", "Other#1", None]), rnd.choice(["A", "B"]), rnd.choice([3, 7, 250, -250, 950])) for i in range(1, 71)]
+    spark.createDataFrame(data, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    blocks = R._part_blocks(spark, str(tmp_path))
+    every = {tuple(r) for r in E.candidate_pairs(blocks).collect()}
+    assert {tuple(r) for r in E.salted_pairs(blocks, 4).collect()} == every
+    held = {}
+    for r in blocks.collect():
+        held.setdefault(r["id"], set()).add(r["block"])
+    first = {}
+    for i in sorted(held):
+        first.setdefault(frozenset(held[i]), i)
+    want = {}
+    for i, j in every:
+        at = tuple(sorted((first[frozenset(held[i])], first[frozenset(held[j])])))
+        want[at] = want.get(at, 0) + 1
+    assert {(r["class1"], r["class2"]): r["pairs"] for r in QUERIES["candidate_class_pairs"](spark, str(tmp_path)).collect()} == want
+    name, top = {i: n for i, n, *_ in data}, {i: i for i, *_ in data}
+    df = spark.createDataFrame([(i, j, name[i], name[j]) for i, j in every if name[i] and name[j]], "i bigint, j bigint, a string, b string")
+    linked = [(r["i"], r["j"]) for r in df.where(E.name_score(F.col("a"), F.col("b"), with_jaro=False) >= 0.7).collect()]
+    while any(top[i] != top[j] for i, j in linked):
+        for i, j in linked:
+            top[i] = top[j] = min(top[i], top[j])
+    assert {r["id"]: r["component"] for r in QUERIES["er_pipeline"](spark, str(tmp_path)).collect()} == top
