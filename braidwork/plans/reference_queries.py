@@ -332,6 +332,13 @@ def _name_pairs(spark, d):
     return k("a").join(k("b"), "k").where("a < b").select("a", "b")
 
 
+def _all_name_pairs(spark, d):
+    """Every two distinct names, formed in parts."""
+    n = read_table(spark, d, "part").select(F.col("p_name").alias("id"), F.lit("all").alias("block")).where("id is not null").distinct()
+    return E.salted_pairs(n).toDF("a", "b")
+
+
+_ANP = "(SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name)"
 _NP = "(SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON left(a.p_name, 2) = left(b.p_name, 2) AND a.p_name < b.p_name)"
 
 
@@ -342,7 +349,7 @@ def levenshtein_pairs(spark, d):
 
 @query()
 def jaro_winkler_pairs(spark, d):
-    return _name_pairs(spark, d).select("a", "b", r(S.jaro_winkler(F.col("a"), F.col("b")), "score"))
+    return _all_name_pairs(spark, d).select("a", "b", r(S.jaro_winkler(F.col("a"), F.col("b")), "score"))
 
 
 @query(f"SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6)::DOUBLE AS score FROM (SELECT a, b, list_distinct(string_split_regex(lower(a), '\\s+')) AS x, list_distinct(string_split_regex(lower(b), '\\s+')) AS y FROM {_NP})")
@@ -350,6 +357,18 @@ def token_jaccard_pairs(spark, d):
     return _name_pairs(spark, d).select("a", "b", r(S.token_jaccard(F.col("a"), F.col("b")), "score"))
 
 
+@query(f"SELECT a, b, round(1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b)), 6)::DOUBLE AS score FROM {_ANP}")
+def levenshtein_all_pairs(spark, d):
+    """As levenshtein_pairs, whose SQL takes names of the same first two letters only, over all pairs of names."""
+    return _all_name_pairs(spark, d).select("a", "b", r(S.levenshtein(F.col("a"), F.col("b")), "score"))
+
+
+@query(f"SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6)::DOUBLE AS score FROM (SELECT a, b, list_distinct(string_split_regex(lower(a), '\\s+')) AS x, list_distinct(string_split_regex(lower(b), '\\s+')) AS y FROM {_ANP})")
+def token_jaccard_all_pairs(spark, d):
+    """As token_jaccard_pairs, whose SQL takes names of the same first two letters only, over all pairs of names."""
+    return _all_name_pairs(spark, d).select("a", "b", r(S.token_jaccard(F.col("a"), F.col("b")), "score"))
+
+
 _PH = "regexp_replace(translate(regexp_replace(upper(substr(p_name, 2)), '[^A-Z]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^1-6]', '', 'g')"
 for _digit in "123456":
     _PH = f"regexp_replace({_PH}, '{_digit}+', '{_digit}', 'g')"

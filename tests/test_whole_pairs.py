@@ -57,3 +57,13 @@ def test_candidates_and_links_of_all_surveyed_keys(spark, tmp_path):
         for i, j in linked:
             top[i] = top[j] = min(top[i], top[j])
     assert {r["id"]: r["component"] for r in QUERIES["er_pipeline"](spark, str(tmp_path)).collect()} == top
+
+
+def test_names_that_differ_in_their_first_letters(spark, tmp_path):
+    names = ["red bolt", "bolt red", "erd bolt", "red bolt", "Xed", None]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(a, b) for a in names for b in names if a and b and a < b}
+    for q in ("jaro_winkler_pairs", "levenshtein_all_pairs", "token_jaccard_all_pairs"):
+        got = {(r["a"], r["b"]): r["score"] for r in QUERIES[q](spark, str(tmp_path)).collect()}
+        assert got.keys() == want, q
+    assert got["bolt red", "red bolt"] == 1.0
