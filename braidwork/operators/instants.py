@@ -43,8 +43,8 @@ FORMATS = ("iso", "compact", "mdy", "dmy", "ymd2", "text", *_EPOCH)
 class InstantRules:
     """declared: the order of numeric dates with the year last that a source is known to use; it bars the other order there.
 
-    least_weight: a format which holds less of a source's mixture explains no value there (a reading that only such a
-    format allows is marked off_format). sure: least posterior of a chosen reading; below it the value is ambiguous.
+    least_weight: a reading in a format which holds less of a source's mixture gives way to any in a format that holds more;
+    it never costs a value its only reading. sure: least posterior of a chosen reading; below it the value is ambiguous.
     """
 
     declared: dict[str, str] = field(default_factory=dict)
@@ -161,7 +161,7 @@ def fit_mixtures(counts: list[tuple[str, tuple[str, ...], int]], rules: InstantR
             w = {f: m / z for f, m in mass.items()}
         least = rules.least_weight if total * rules.least_weight >= 1 else 0
         for formats, _ in sets:
-            p = {f: w[f] for f in formats if w.get(f, 0) > least}
+            p = {f: w[f] for f in formats if w.get(f, 0) > least} or {f: w[f] for f in formats if f in w}
             z = sum(p.values())
             out[source, formats] = sorted(((f, x / z) for f, x in p.items()), key=lambda x: (-x[1], x[0]))
     return out
@@ -171,7 +171,7 @@ def normalise_instants(df: DataFrame, source: str, value: str, zone: str, keep:
     """keep, utc_micros, format, posterior, status of each row of df. source, value, zone name its columns.
 
     status: resolved; ambiguous (no reading reaches rules.sure; the best one is still given); off_format (readable only
-    in a format the source does not use); unreadable (absent, partial, impossible, or in an unknown zone). utc_micros is
+    in a format that the source's declared order bars); unreadable (absent, partial, impossible, or in an unknown zone). utc_micros is
     null unless resolved or ambiguous. A value without zone is local time of the zone column, UTC if that is null; zone
     letters are those of that zone; an offset wins over a bracketed zone name. A day means its first moment. A time that
     occurs twice is the earlier one, a skipped one is read with the offset before the change.

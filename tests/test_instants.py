@@ -65,3 +65,10 @@ def test_ambiguous_and_empty(spark):
     df = spark.createDataFrame([(1, "c", "03/04/2022", None), (1, "c", "03/04/2022", None)], "i int, s string, v string, z string")
     assert [r["status"] for r in normalise_instants(df, "s", "v", "z", ["i"]).collect()] == ["ambiguous"] * 2
     assert normalise_instants(df.limit(0), "s", "v", "z", ["i"]).count() == 0
+
+
+def test_a_rare_format_keeps_its_values_in_a_large_table(spark):
+    df = spark.range(25_000).selectExpr("id", "'v2' AS s", "CASE WHEN id < 5 THEN 'March 5, 2024' WHEN id < 10 THEN '1642030759294025' WHEN id = 10 THEN '25/12/2022' ELSE '2024-01-02' END AS v", "CAST(NULL AS string) AS z")
+    got = {r["id"]: r for r in normalise_instants(df, "s", "v", "z", ["id"], InstantRules(declared={"v2": "mdy"})).where("id < 11").collect()}
+    assert [got[i]["utc_micros"] for i in range(10)] == [micros(2024, 3, 5)] * 5 + [1642030759294025] * 5
+    assert {got[i]["status"] for i in range(10)} == {"resolved"} and got[10]["status"] == "off_format"
