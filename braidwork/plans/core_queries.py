@@ -25,6 +25,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return priced.where("unit_status = 'known'").select("rec_id", "usd_cents")
 
 
+def p3_units(spark: SparkSession, d: str) -> DataFrame:
+    """All rows with an amount, those that the residual ranks or leaves open too."""
+    return normalise_prices(read_table(spark, d, "products"), read_table(spark, d, "fx_rates"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(read_table(spark, d, "feed_files"), read_table(spark, d, "feed_lines"))
 
@@ -33,5 +38,5 @@ def p7_unified(spark: SparkSession, d: str) -> DataFrame:
     return unified_feed(read_table(spark, d, "feed_files"), read_table(spark, d, "feed_lines"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_unified": p7_unified}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_units": p3_units, "p7_found": p7_found, "p7_unified": p7_unified}
 ORACLES: dict[str, str] = {}
