@@ -132,7 +132,7 @@ def parse(text: str | None) -> tuple[str, str, str, tuple[str, ...]]:
             f, b = first.rstrip("."), last.rstrip(".")
             upper = [w for w in re.findall(r"[^\W\d_][\w'’-]*", raw) if len(w) > 1]
             shouted = len(upper) >= 2 and upper[0].isupper() and not upper[-1].isupper()
-            turned = shouted or (_is_given(b) and not _is_given(f)) or (last.endswith(".") and not first.endswith("."))
+            turned = shouted or (is_given(b) and not is_given(f)) or (last.endswith(".") and not first.endswith("."))
             family, order = (f, [w for w in p if w is not first]) if turned else (b, [w for w in p if w is not last])
     given = next((w for w in order if len(w.rstrip(".")) > 1), "")
     initials = tuple(w.rstrip(".") for w in order if len(w.rstrip(".")) == 1)
@@ -141,7 +141,7 @@ def parse(text: str | None) -> tuple[str, str, str, tuple[str, ...]]:
     return ("person", family, given, initials)
 
 
-def _is_given(w: str) -> bool:
+def is_given(w: str) -> bool:
     return w in GIVEN or w in _FULL
 
 
