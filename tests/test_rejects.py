@@ -66,7 +66,7 @@ def test_reasons(spark):
         head, "C1,Ann Lee,a@b.c,2024-02-29,Active", 'C1,"Lee, Ann",a@b.c,2024-02-29,Active', 'C1,"Ann\nLee",,,', 'C1,Ann "Jo" Lee,,,', 'C1,"Ann Lee,,,', "C1,Ann Lee,,", "C1,Ann Lee,,,,", "C1,,x,,",
         "C1,***,x,,", "C1,An�,x,,", "C1,An\x07n,x,,", "C1,Ann,x,2023-02-29,", "C1,Ann,x,13/45/2024,", "C1,Ann,x,soon,", "C1,Ann,x,1643525417647,", None, 'C1,"Ann ""Jo"" Lee",,,', "C1,Ann\tLee,x,00-00-0000,",
     ]
-    assert reasons(spark, rows) == {5: "quoting", 6: "quoting", 7: "column_count", 8: "column_count", 9: "bad_value", 10: "bad_value", 11: "bad_value", 12: "bad_value", 13: "bad_value", 14: "bad_value", 17: "column_count", 19: "bad_value"}
+    assert reasons(spark, rows) == {5: "quoting", 6: "quoting", 7: "column_count", 8: "column_count", 9: "bad_value", 10: "bad_value", 11: "bad_value", 12: "bad_value", 13: "bad_value", 14: "bad_value", 15: "bad_value", 17: "column_count", 19: "bad_value"}
 
 
 def test_day_order_by_feed(spark):
