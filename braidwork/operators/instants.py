@@ -43,12 +43,10 @@ FORMATS = ("iso", "compact", "mdy", "dmy", "ymd2", "text", *_EPOCH)
 class InstantRules:
     """declared: the order of numeric dates with the year last that a source is known to use; it bars the other order there.
 
-    least_weight: a reading in a format which holds less of a source's mixture gives way to any in a format that holds more;
-    it never costs a value its only reading. sure: least posterior of a chosen reading; below it the value is ambiguous.
+    sure: least posterior of a chosen reading; below it the value is ambiguous.
     """
 
     declared: dict[str, str] = field(default_factory=dict)
-    least_weight: float = 0.0005
     sure: float = 0.9
     rounds: int = 60
     smoothing: float = 0.5
@@ -149,7 +147,6 @@ def fit_mixtures(counts: list[tuple[str, tuple[str, ...], int]], rules: InstantR
         barred = {"mdy": {"dmy", "ymd2"}, "dmy": {"mdy", "ymd2"}}.get(rules.declared.get(source), set())
         use = [f for f in FORMATS if f not in barred]
         w = dict.fromkeys(use, 1 / len(use))
-        total = sum(n for _, n in sets)
         for _ in range(rules.rounds):
             mass = dict.fromkeys(use, rules.smoothing / max(len(use), 1))
             for formats, n in sets:
@@ -159,9 +156,8 @@ def fit_mixtures(counts: list[tuple[str, tuple[str, ...], int]], rules: InstantR
                         mass[f] += n * w[f] / z
             z = sum(mass.values())
             w = {f: m / z for f, m in mass.items()}
-        least = rules.least_weight if total * rules.least_weight >= 1 else 0
         for formats, _ in sets:
-            p = {f: w[f] for f in formats if w.get(f, 0) > least} or {f: w[f] for f in formats if f in w}
+            p = {f: w[f] for f in formats if f in w}
             z = sum(p.values())
             out[source, formats] = sorted(((f, x / z) for f, x in p.items()), key=lambda x: (-x[1], x[0]))
     return out
@@ -175,12 +171,12 @@ def normalise_instants(df: DataFrame, source: str, value: str, zone: str, keep:
     null unless resolved or ambiguous. A value without zone is local time of the zone column, UTC if that is null; zone
     letters are those of that zone; an offset wins over a bracketed zone name. A day means its first moment. A time that
     occurs twice is the earlier one, a skipped one is read with the offset before the change.
-    Nulls and empty texts are unreadable, long texts too; repeated rows come out as often as they are; an empty table
+    Nulls, empty texts and texts that are no date are unreadable, whatever their length; repeated rows come out as often as they are; an empty table
     gives no rows. Columns of other names are not touched; keep must not contain names of the result.
     """
     spark = df.sparkSession
     d = df.select(*[F.col(k) for k in keep], F.col(source).alias("_src"), F.trim(F.col(value)).alias("_v"), F.col(zone).alias("_home"))
-    d = _readings(d.withColumn("tk", _tokens(F.when(F.length("_v") <= 80, F.col("_v")))))
+    d = _readings(d.withColumn("tk", _tokens(F.col("_v"))))
     seen = d.groupBy("_src", "formats").count().collect()  # at most the sets of FORMATS for each source
     post = fit_mixtures([(r["_src"], tuple(r["formats"]), r["count"]) for r in seen if r["formats"]], rules)
     rows = [(s, list(f), p[0][0] if p else None, float(p[0][1]) if p else None) for (s, f), p in post.items()]

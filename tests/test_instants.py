@@ -72,3 +72,10 @@ def test_a_rare_format_keeps_its_values_in_a_large_table(spark):
     got = {r["id"]: r for r in normalise_instants(df, "s", "v", "z", ["id"], InstantRules(declared={"v2": "mdy"})).where("id < 11").collect()}
     assert [got[i]["utc_micros"] for i in range(10)] == [micros(2024, 3, 5)] * 5 + [1642030759294025] * 5
     assert {got[i]["status"] for i in range(10)} == {"resolved"} and got[10]["status"] == "off_format"
+
+
+def test_a_value_reads_alike_at_every_table_size(spark):
+    for n in (10, 1_500, 5_000):
+        df = spark.range(n).selectExpr("id", "'v1' AS s", "CASE WHEN id = 0 THEN '20240102' ELSE '2024-01-02' END AS v", "CAST(NULL AS string) AS z")
+        r = normalise_instants(df, "s", "v", "z", ["id"]).where("id = 0").first()
+        assert (r["utc_micros"], r["status"], r["posterior"]) == (micros(2024, 1, 2), "resolved", 1.0), n
