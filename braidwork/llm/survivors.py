@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from braidwork.llm.linkage import REGISTERS
 from braidwork.llm.names import ABSENT
 from braidwork.operators.instants import table_instants
+from braidwork.session import cut
 
 # The field that survives in each register.
 SURVIVING = {"customers_v1": "Account_Status", "customers_v2": "SignupDate", "customers_v3": "email_addr"}
-_CHANNELS = 8
+_CHANNELS = 63
 
 
 @dataclass(frozen=True)
@@ -101,28 +102,35 @@ def fit_channels(patterns: list[tuple[str, int, int, int]], rules: SurvivorRules
 
 def judged_values(claims: DataFrame, rules: SurvivorRules = SurvivorRules()) -> DataFrame:
     """src_table, number, value, posterior: every usable value of every customer number, with the probability that it is true."""
-    bit = F.expr(f"shiftleft(1, least(greatest(coalesce(trust_rank, 0), 0), {_CHANNELS - 1}))")
+    bit = F.expr(f"shiftleft(1L, cast(least(greatest(coalesce(trust_rank, 0), 0), {_CHANNELS - 1}) AS int))")
     by_value = claims.where("usable").groupBy("src_table", "number", "value").agg(F.bit_or(bit).alias("claimed"))
     by_number = by_value.groupBy("src_table", "number").agg(F.bit_or("claimed").alias("present"))
     d = by_value.join(by_number, ["src_table", "number"])
-    seen = d.groupBy("src_table", "claimed", "present").count().collect()  # at most tables x 2^channels x 2^channels, in practice a few dozen
+    seen = d.groupBy("src_table", "claimed", "present").count().collect()  # at most tables x 2^channels x 2^channels, few channels are ever seen together
     post = fit_channels([(r["src_table"], r["claimed"], r["present"], r["count"]) for r in seen], rules)
-    table = claims.sparkSession.createDataFrame([(t, c, p, float(q)) for (t, c, p), q in post.items()], "src_table string, claimed int, present int, posterior double")
+    table = claims.sparkSession.createDataFrame([(t, c, p, float(q)) for (t, c, p), q in post.items()], "src_table string, claimed bigint, present bigint, posterior double")
     return d.join(F.broadcast(table), ["src_table", "claimed", "present"]).select("src_table", "number", "value", "posterior")
 
 
 def survivors(tables: dict[str, DataFrame], rules: SurvivorRules = SurvivorRules()) -> DataFrame:
-    """src_table, number, rec_id, value, posterior, true_values of each customer number with two or more records and a usable value.
+    """src_table, number, rec_id, value, posterior, judged_rec_id, judged_value, true_values of each customer number with two or more records and a usable value.
 
     rec_id is the record that supplies the surviving value: of those with a usable one, the lowest trust_rank, then the
-    latest updated_at, then the lowest rec_id; nulls come last. posterior and true_values are the quality model's.
-    Groups are folded by aggregation, so a number may hold any share of the rows. A record delivered twice counts twice.
-    Numbers without a digit, and groups without usable value, have no case; tables may be empty; extra columns are ignored.
+    latest updated_at, then the lowest rec_id; nulls come last. posterior is the quality model's for its value.
+    judged_rec_id is the record that the model prefers: one with the value of the highest posterior, equal ones in the
+    same order. true_values are all values judged true. Groups are folded by aggregation, so a number may hold any share
+    of the rows. A record delivered twice counts twice. Numbers without a digit, and groups without usable value, have
+    no case; tables may be empty; extra columns are ignored.
     """
-    claims = surviving_claims(tables)
-    order = F.struct(F.coalesce("trust_rank", F.lit(2**31 - 1)).alias("t"), F.coalesce(-F.unix_micros("updated_at"), F.lit(2**62)).alias("u"), F.col("rec_id").alias("r"))
-    best = claims.groupBy("src_table", "number").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("rec_id", "value"), F.when(F.col("usable"), order)).alias("best"))
-    best = best.where("n >= 2 and best is not null").select("src_table", "number", "best.rec_id", "best.value")
+    claims = cut(surviving_claims(tables))
     judged = judged_values(claims, rules)
-    true = judged.groupBy("src_table", "number").agg(F.array_sort(F.collect_list(F.when(F.col("posterior") >= rules.judged_true, F.col("value")))).alias("true_values"))
-    return best.join(judged, ["src_table", "number", "value"], "left").join(true, ["src_table", "number"], "left").select("src_table", "number", "rec_id", "value", "posterior", "true_values")
+    order = F.struct(F.coalesce("trust_rank", F.lit(2**31 - 1)).alias("t"), F.coalesce(-F.unix_micros("updated_at"), F.lit(2**62)).alias("u"), F.col("rec_id").alias("r"))
+    counts = claims.groupBy("src_table", "number").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # of the records of one value only the first in order matters; the values then meet with their posteriors
+    first = claims.where("usable").groupBy("src_table", "number", "value").agg(F.min(order).alias("o"))
+    rated = first.join(judged, ["src_table", "number", "value"])
+    best = rated.groupBy("src_table", "number").agg(
+        F.min(F.struct("o", "value", "posterior")).alias("best"), F.min(F.struct((-F.col("posterior")).alias("doubt"), "o", "value")).alias("liked"),
+        F.array_sort(F.collect_list(F.when(F.col("posterior") >= rules.judged_true, F.col("value")))).alias("true_values"),
+    )
+    return best.join(counts, ["src_table", "number"]).select("src_table", "number", F.col("best.o.r").alias("rec_id"), "best.value", "best.posterior", F.col("liked.o.r").alias("judged_rec_id"), F.col("liked.value").alias("judged_value"), "true_values")
