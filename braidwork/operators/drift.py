@@ -2,8 +2,10 @@
 
 A file's schema is a tree (nested names are cut at dots; a delimited file has one level). Between two successive files
 of a channel, the constrained unordered tree edit distance is found by minimum-cost assignment of children, level by
-level: deleting and adding a field cost 1 each, keeping a field under another name costs what its content differs,
-another place costs nothing. The cheapest script is the list of changes, and it compiles into projections.
+level: deleting and adding a field cost 1 each, keeping a field under another name costs what its content differs, and
+2 if the two names stand beside each other in any header of the feeds; another place among its siblings costs nothing.
+A field that is left over under one parent and appears under another one is moved, if its content allows. The cheapest
+script is the list of changes, and it compiles into projections.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from braidwork.functions.calendar import is_calendar_day, to_int
 from braidwork.operators.rejects import RejectRules, feed_headers, loadable_lines
 from braidwork.session import cut, map_batches
 
-# Header keys (lower case, letters and digits only) that customer feeds use for one and the same field.
+# Header keys (lower case, letters and digits only) that customer feeds use for one and the same field. They
+# name the columns of the unified table; for the scripts they are a hint among others (DriftRules.hint).
 CONCEPTS = {
     "customer_number": ("customerid", "custid", "clientnumber", "custnum", "customernumber", "customerno", "kundennr", "custkey", "clientref", "accountno", "clientid"),
     "customer_name": ("fullname", "customername", "name", "customerfullname", "displayname", "party", "clientname", "custname"),
@@ -44,10 +47,12 @@ _SLOTS = 16
 class DriftRules:
     """rename_below: a field is kept under another name only if that costs less (deleting and adding cost 2).
 
+    hint: what CONCEPTS takes from the cost of two names of one meaning, or adds for two meanings; 0 leaves all to content.
     least_share: share of a column's non-empty values that must be of one kind for the column to be of it.
     """
 
-    rename_below: float = 1.2
+    rename_below: float = 2.0
+    hint: float = 0.6
     least_share: float = 0.5
 
 
@@ -150,14 +155,14 @@ class Node:
     children: tuple = ()
 
 
-def _keep_cost(a: Node, b: Node, rules: DriftRules) -> float:
-    """Cost of taking b for a, children aside: 0 under the same key; else by meaning of the names and content."""
+def _keep_cost(a: Node, b: Node, rules: DriftRules, apart: frozenset = frozenset()) -> float:
+    """Cost of taking b for a, children aside: 0 under the same key; else by content, and 2 or more for names that some header holds side by side (apart)."""
     if a.key == b.key:
         return 0.0
+    if (_bare(a.name), _bare(b.name)) in apart:
+        return 2.0
     ca, cb = _CONCEPT_OF.get(_bare(a.name)), _CONCEPT_OF.get(_bare(b.name))
-    if ca and cb:
-        return 0.3 if ca == cb else 2.0
-    cost = 1.6
+    cost = 1.6 if not (ca and cb) else 1.6 - rules.hint if ca == cb else 1.6 + rules.hint
     if a.kind and b.kind:
         cost += -0.4 if a.kind == b.kind else 0.5
     fa, fb = a.facts, b.facts
@@ -191,53 +196,98 @@ def _size(t: Node) -> int:
     return 1 + sum(map(_size, t.children))
 
 
-def edit_script(old: tuple[Node, ...], new: tuple[Node, ...], rules: DriftRules = DriftRules(), path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
-    """Cost and script (kind of change, old path, new path) between two lists of sibling fields.
+def _leaves(t: Node, path: str = "") -> list[tuple[str, Node]]:
+    own = f"{path}.{t.name}" if path else t.name
+    return [x for c in t.children for x in _leaves(c, own)] if t.children else [(own, t)]
 
-    kept steps are listed too; added and removed steps cover whole subtrees. Order does not count.
-    """
+
+def _siblings(old: tuple[Node, ...], new: tuple[Node, ...], rules: DriftRules, apart: frozenset, po: str = "", pn: str = "") -> tuple[float, list[tuple]]:
+    """Cost and steps (kind, old path, new path, old leaf, new leaf) between two lists of siblings; removed and added steps are leaves."""
     n, m = len(old), len(new)
     if not n and not m:
         return 0.0, []
     big = n + m
-    sub: dict[tuple[int, int], tuple[float, list]] = {}
+    sub: dict[tuple[int, int], list] = {}
     cost = [[0.0] * big for _ in range(big)]
+    path = lambda p, t: f"{p}.{t.name}" if p else t.name
     for i in range(n):
         for j in range(m):
-            c = _keep_cost(old[i], new[j], rules)
-            if c > 0 and c >= rules.rename_below:
+            c = _keep_cost(old[i], new[j], rules, apart)
+            if c > 0 and (c >= rules.rename_below or bool(old[i].children) != bool(new[j].children)):
                 cost[i][j] = float(_size(old[i]) + _size(new[j])) + 1
                 continue
-            sub[i, j] = edit_script(old[i].children, new[j].children, rules)
-            cost[i][j] = c + sub[i, j][0]
+            more, sub[i, j] = _siblings(old[i].children, new[j].children, rules, apart, path(po, old[i]), path(pn, new[j]))
+            cost[i][j] = c + more
         for j in range(m, big):
             cost[i][j] = float(_size(old[i]))
     for i in range(n, big):
         for j in range(m):
             cost[i][j] = float(_size(new[j]))
-    where = assign(cost)
     out, total = [], 0.0
-    for i, j in enumerate(where):
+    for i, j in enumerate(assign(cost)):
         total += cost[i][j]
         if i < n and j < m and (i, j) in sub:
             a, b = old[i], new[j]
-            if a.key != b.key:
-                out.append(("renamed", a.name, b.name))
-            if a.kind and b.kind and a.kind != b.kind:
-                out.append(("retyped", a.name, b.name))
-            out.append(("kept", a.name, b.name))
-            out += [(k, f"{a.name}.{x}" if x else "", f"{b.name}.{y}" if y else "") for k, x, y in sub[i, j][1]]
+            if not a.children and not b.children:
+                out.append(("kept" if a.key == b.key else "renamed", path(po, a), path(pn, b), a, b))
+            out += sub[i, j]
         else:
-            if i < n:
-                out.append(("removed", old[i].name, ""))
-            if j < m:
-                out.append(("added", "", new[j].name))
+            out += [("removed", x, "", t, None) for x, t in (_leaves(old[i], po) if i < n else [])]
+            out += [("added", "", x, None, t) for x, t in (_leaves(new[j], pn) if j < m else [])]
+    return total, out
+
+
+def edit_script(old: tuple[Node, ...], new: tuple[Node, ...], rules: DriftRules = DriftRules(), apart: frozenset = frozenset()) -> tuple[float, list[tuple[str, str, str]]]:
+    """Cost and script (kind of change, old path, new path) between two lists of sibling fields.
+
+    Steps are those of leaves: kept, renamed, moved, retyped, added, removed; a field that is renamed or moved is listed
+    as kept too. A field under a renamed parent keeps its place. Order does not count.
+    """
+    total, steps = _siblings(old, new, rules, apart)
+    gone, come = [s for s in steps if s[0] == "removed"], [s for s in steps if s[0] == "added"]
+    parent = lambda p: p.rpartition(".")[0]
+    if any("." in s[1] for s in gone) or any("." in s[2] for s in come):
+        size = len(gone) + len(come)
+        cost = [[2.0 if i < len(gone) or j < len(come) else 0.0 for j in range(size)] for i in range(size)]
+        for i, (_, x, _, a, _) in enumerate(gone):
+            for j, (_, _, y, _, b) in enumerate(come):
+                # another place and another name at once need content that both hold
+                told = a.key == b.key or a.facts and b.facts and any(p == q and p is not None for p, q in zip(a.facts["hashes"], b.facts["hashes"]))
+                c = _keep_cost(a, b, rules, apart) if told else 4.0
+                cost[i][j] = c if parent(x) != parent(y) and c < rules.rename_below else 4.0
+        for i, j in enumerate(assign(cost)):
+            if i < len(gone) and j < len(come) and cost[i][j] < 2:
+                steps = [s for s in steps if s is not gone[i] and s is not come[j]] + [("moved", gone[i][1], come[j][2], gone[i][3], come[j][4])]
+                total += cost[i][j] - 2
+    out = []
+    for kind, x, y, a, b in steps:
+        if kind not in ("kept", "added", "removed"):
+            out.append((kind, x, y))
+        if a and b:
+            if a.kind and b.kind and a.kind != b.kind:
+                out.append(("retyped", x, y))
+            out.append(("kept", x, y))
+        elif kind != "kept":
+            out.append((kind, x, y))
     return total, out
 
 
+def _tree(leaves: list[tuple[list[str], Node]]) -> tuple[Node, ...]:
+    """Leaves with their paths as a tree; names that aren't nested stay as they are."""
+    groups: dict[str, list] = {}
+    for i, (path, leaf) in enumerate(leaves):
+        groups.setdefault(_key(path[0]) if len(path) > 1 else f"\0{i}", []).append((path, leaf))
+    out = []
+    for g in groups.values():
+        path, leaf = g[0]
+        out.append(leaf if len(path) == 1 else Node(path[0], _key(path[0]), children=_tree([(p[1:], x) for p, x in g])))
+    return tuple(out)
+
+
 def _nodes(header, facts, rules: DriftRules) -> tuple[Node, ...]:
+    """The fields of a header as a tree, cut at dots."""
     by = {int(f["pos"]): f for f in facts} if facts is not None else {}
-    out = []
+    leaves, seen = [], set()
     for i, name in enumerate(header):
         f = by.get(i)
         kind = None
@@ -247,26 +297,43 @@ def _nodes(header, facts, rules: DriftRules) -> tuple[Node, ...]:
                 k = "decimal" if 2 * f["n_decimal"] >= f["n_integer"] else k
             kind = k if f[f"n_{k}"] >= rules.least_share * f["n"] else "text"
         # an empty name, or one that stands twice, is told by its place
-        key = _key(name) or f"#{i}"
-        out.append(Node(name, key if all(o.key != key for o in out) else f"{key}#{i}", kind, f))
-    return tuple(out)
+        path = name.split(".")
+        if not all(p.strip() for p in path):
+            path = [name]
+        again = _key(name) in seen
+        seen.add(_key(name))
+        key = _key(path[-1]) or f"#{i}"
+        leaves.append((path, Node(path[-1], f"{key}#{i}" if again else key, kind, f)))
+    return _tree(leaves)
+
+
+def names_apart(pairs: DataFrame) -> DataFrame:
+    """file_id, apart: of the names that only one of two successive headers holds, the pairs (old, new) that some header of all files holds side by side."""
+    bare = lambda c: F.transform(c, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
+    heads = pairs.select(F.array_sort(F.array_distinct(bare("header"))).alias("h")).unionByName(pairs.select(F.array_sort(F.array_distinct(bare("header0"))).alias("h"))).distinct()
+    beside = heads.select(F.explode("h").alias("x"), "h").select("x", F.explode("h").alias("y")).where("x <> y").distinct()
+    d = pairs.select("file_id", F.array_except(bare("header0"), bare("header")).alias("gone"), F.array_except(bare("header"), bare("header0")).alias("come"))
+    d = d.select("file_id", F.explode("gone").alias("x"), "come").select("file_id", "x", F.explode("come").alias("y"))
+    return d.join(beside, ["x", "y"]).groupBy("file_id").agg(F.collect_set(F.struct("x", "y")).alias("apart"))  # pairs of two headers
 
 
 def schema_scripts(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRules(), rejects: RejectRules = RejectRules()) -> DataFrame:
     """file_id, before, change_kind, old_name, new_name: the edit script of each file against the preceding one of its channel, kept fields included."""
-    schemas = file_schemas(files, lines, rejects).select("file_id", "header", "facts")
+    schemas = cut(file_schemas(files, lines, rejects).select("file_id", "header", "facts"))
     pairs = preceding_files(files)
     pairs = pairs.join(schemas, "file_id").join(schemas.select(F.col("file_id").alias("before"), F.col("header").alias("header0"), F.col("facts").alias("facts0")), "before")
+    pairs = pairs.join(names_apart(pairs), "file_id", "left")
 
     def scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 old, new = _nodes(r.header0, r.facts0, rules), _nodes(r.header, r.facts, rules)
-                rows += [(r.file_id, r.before, *step) for step in edit_script(old, new, rules)[1]]
+                apart = frozenset((x["x"], x["y"]) for x in r.apart) if r.apart is not None else frozenset()
+                rows += [(r.file_id, r.before, *step) for step in edit_script(old, new, rules, apart)[1]]
             yield pd.DataFrame(rows, columns=["file_id", "before", "change_kind", "old_name", "new_name"])
 
-    return pairs.select("file_id", "before", "header", "facts", "header0", "facts0").transform(map_batches, scripts, "file_id bigint, before bigint, change_kind string, old_name string, new_name string")
+    return pairs.select("file_id", "before", "header", "facts", "header0", "facts0", "apart").transform(map_batches, scripts, "file_id bigint, before bigint, change_kind string, old_name string, new_name string")
 
 
 def schema_changes(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRules(), rejects: RejectRules = RejectRules()) -> DataFrame:
@@ -277,7 +344,8 @@ def schema_changes(files: DataFrame, lines: DataFrame, rules: DriftRules = Drift
     without channel or number, have no case; empty tables give no rows; extra columns are ignored.
     """
     s = schema_scripts(files, lines, rules, rejects).where("change_kind <> 'kept'")
-    return s.select("file_id", "change_kind", F.when(F.col("change_kind") == "removed", F.col("old_name")).otherwise(F.col("new_name")).alias("field_name"))
+    # a moved field has the same content under another name, that of its new place
+    return s.select("file_id", F.when(F.col("change_kind") == "moved", F.lit("renamed")).otherwise(F.col("change_kind")).alias("change_kind"), F.when(F.col("change_kind") == "removed", F.col("old_name")).otherwise(F.col("new_name")).alias("field_name"))
 
 
 def unified_feed(files: DataFrame, lines: DataFrame, rules: DriftRules = DriftRules(), rejects: RejectRules = RejectRules()) -> DataFrame:

@@ -25,6 +25,25 @@ def test_nested_script():
     assert cost == 2
 
 
+def test_moves_and_nested_headers(spark):
+    facts = lambda h: {"hashes": [h] * 16, "n": 9, "n_at": 0, "chars": 40}
+    leaf = lambda name, h: Node(name, name, "text", facts(h))
+    old = (leaf("id", 1), Node("home", "home", children=(leaf("town", 2), leaf("street", 3))), Node("work", "work", children=(leaf("firm", 4),)))
+    new = (leaf("id", 1), Node("home", "home", children=(leaf("street", 3),)), Node("work", "work", children=(leaf("firm", 4), leaf("town", 2))))
+    cost, script = edit_script(old, new)
+    assert [s for s in script if s[0] != "kept"] == [("moved", "home.town", "work.town")] and cost == 0
+    got = feed(spark, ["id,home.town,work.firm", "1,Ulm,Ox"] + [f"{i},Town{i},Firm{i}" for i in range(9)], ["id,work.firm,work.town", "1,Ox,Ulm"] + [f"{i},Firm{i},Town{i}" for i in range(9)])
+    changes = {(r["file_id"], r["change_kind"], r["field_name"]) for r in schema_changes(*got).collect()}
+    assert changes == {(2, "renamed", "work.town")}
+
+
+def test_names_side_by_side_are_never_one_field():
+    same = {"hashes": [5] * 16, "n": 9, "n_at": 0, "chars": 40}
+    a, b = Node("mobile", "mobile", "text", same), Node("landline", "landline", "text", same)
+    assert [s[0] for s in edit_script((a,), (b,))[1]] == ["renamed", "kept"]
+    assert sorted(s[0] for s in edit_script((a,), (b,), apart=frozenset({("mobile", "landline")}))[1]) == ["added", "removed"]
+
+
 def feed(spark, *contents, delim=","):
     files, lines, n = [], [], 0
     for i, rows in enumerate(contents, 1):
