@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import map_batches
+from braidwork.session import cut, map_batches
 
 # Frequent function words, by which English is told from the other languages of the corpus.
 ENGLISH = frozenset("the of and to a in is that it for was on are with as be at by this had not but have from or which were one so when then only can we he she before after until has its an will no".split())
@@ -25,7 +25,7 @@ LINKS = frozenset("and but so because although while since therefore however hen
 PRONOUNS = frozenset("i you he she it we they me him her us them my your his its our their this that these those".split())
 SUBORDINATORS = frozenset("because although while since unless whereas whether which that when if until who whose whosoever what".split())
 
-_TAG = re.compile(r"<[^<>]{1,300}>")
+_TAG = re.compile(r"<[^<>]+>")
 _CUT = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouy]+")
@@ -205,25 +205,23 @@ def fit_levels(docs: DataFrame, labels: DataFrame, rules: LevelRules = LevelRule
     rated = labels.where(f"level between {lo} and {hi} and doc_id is not null").groupBy("doc_id").agg(F.avg("level").alias("rating"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_labels)
     got = docs.where("text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"])
-    got = got.withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(rules.folds)).cast("int")).persist()
-    try:
-        counts = got.select("text", "rating", "fold").transform(map_batches, _word_ratings, "word string, rating double, fold int").groupBy("word").agg(
-            F.sum("rating").alias("s"), F.count(F.lit(1)).alias("k"), *[F.sum(F.when(F.col("fold") == i, F.col("rating")).otherwise(0.0)).alias(f"s{i}") for i in range(rules.folds)],
-            *[F.count_if(F.col("fold") == i).alias(f"k{i}") for i in range(rules.folds)],
-        )
-        table = counts.where(F.col("k") >= rules.least_docs).orderBy(F.desc("k"), "word").limit(rules.vocabulary).collect()
-        scores = {r["word"]: r["s"] / r["k"] for r in table}
-        # a document's words are scored by the other folds, or its own rating would show through
-        others = [{r["word"]: (r["s"] - r[f"s{i}"]) / (r["k"] - r[f"k{i}"]) for r in table if r["k"] - r[f"k{i}"] >= rules.least_docs} for i in range(rules.folds)]
-
-        def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = [features(t, sentences(t), others[f]) for t, f in zip(b["text"], b["fold"])]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "fold": b["fold"], "rating": b["rating"], "x": x})
-
-        rows = got.select("doc_id", "text", "fold", "rating").transform(map_batches, vectors, "doc_id bigint, fold int, rating double, x array<double>").toPandas()
-    finally:
-        got.unpersist()
+    got = got.withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(rules.folds)).cast("int"))
+    got = cut(got)
+    counts = got.select("text", "rating", "fold").transform(map_batches, _word_ratings, "word string, rating double, fold int").groupBy("word").agg(
+        F.sum("rating").alias("s"), F.count(F.lit(1)).alias("k"), *[F.sum(F.when(F.col("fold") == i, F.col("rating")).otherwise(0.0)).alias(f"s{i}") for i in range(rules.folds)],
+        *[F.count_if(F.col("fold") == i).alias(f"k{i}") for i in range(rules.folds)],
+    )
+    table = counts.where(F.col("k") >= rules.least_docs).orderBy(F.desc("k"), "word").limit(rules.vocabulary).collect()
+    scores = {r["word"]: r["s"] / r["k"] for r in table}
+    # a document's words are scored by the other folds, or its own rating would show through
+    others = [{r["word"]: (r["s"] - r[f"s{i}"]) / (r["k"] - r[f"k{i}"]) for r in table if r["k"] - r[f"k{i}"] >= rules.least_docs} for i in range(rules.folds)]
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [features(t, sentences(t), others[f]) for t, f in zip(b["text"], b["fold"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fold": b["fold"], "rating": b["rating"], "x": x})
+
+    rows = got.select("doc_id", "text", "fold", "rating").transform(map_batches, vectors, "doc_id bigint, fold int, rating double, x array<double>").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values("doc_id")
