@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from conftest import DATA
 
-from braidwork.llm.linkage import REGISTERS, LinkRules, candidate_pairs, customer_records, fit_evidence, linked_customers, linked_records, read_variants, solve
+from braidwork.llm.linkage import REGISTERS, Evidence, LinkRules, candidate_pairs, customer_records, fit_evidence, linked_customers, linked_records, read_variants, solve
 from braidwork.llm.names import edit_distance, given_agree, is_absent, name_agree, parse
 from braidwork.llm.spellings import SpellingRules, customer_spaces, pivots, radius_pairs, variant_spellings
 from braidwork.llm.survivors import survivors
@@ -121,7 +121,8 @@ def test_evidence_is_learned(spark):
     counts = [(3, 3, 1, 4, 900), (3, 1, 1, 4, 90), (3, 1, 1, 1, 400), (3, 0, 1, 4, 100), (3, 0, 1, 1, 50), (0, 3, 1, 1, 60)]
     e = fit_evidence(counts, 1e7)
     assert e.ratio[4] > 20 and e.ratio[1] < 0.1 and e.odds[3][3] > 100 * e.odds[3][1]
-    assert fit_evidence([], 0.0).odds == pytest.approx(fit_evidence([], 0.0, rounds=1).odds, rel=0.1)
+    # without pairs the prior odds stay
+    assert fit_evidence([], 0.0).odds == Evidence().odds and fit_evidence([], 0.0).ratio == pytest.approx(Evidence().ratio)
 
 
 def test_survivors_against_brute_force(spark):
