@@ -21,8 +21,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose own text names the unit: those it leaves one combination, and those where the residual picks one of several."""
     priced = normalise_prices(read_table(spark, d, "products"), read_table(spark, d, "fx_rates"))
-    return priced.where("unit_status = 'known'").select("rec_id", "usd_cents")
+    return priced.where("unit_status in ('known', 'ranked')").select("rec_id", "usd_cents")
 
 
 def p3_units(spark: SparkSession, d: str) -> DataFrame:

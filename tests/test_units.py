@@ -37,3 +37,19 @@ def test_query_of_all_rows(spark, tmp_path):
     got = {r["rec_id"]: r.asDict() for r in core_queries.QUERIES["p3_units"](spark, str(tmp_path)).collect()}
     assert {i: r["unit_status"] for i, r in got.items()} == {0: "known", 1: "known", 2: "known", 3: "inferred", 4: "unknown"}
     assert (got[3]["currency"], got[3]["scale"], got[3]["usd_cents"]) == ("USD", 1.0, 1000) and got[3]["residual"] < 0.01
+
+
+def test_units_that_the_residual_decides(spark, tmp_path):
+    both = "Held in cents. The price figure is x1000."
+    rows = [("a", 10.0, "USD", "")] * 3 + [
+        ("a", 0.009, "EUR", both), ("a", 900.0, "EUR", both), ("a", 3.0, "yen", "Price quoted in KWD."), ("a", 1500.0, "yen", "Price quoted in KWD."), ("a", 9.0, "EUR", "Price quoted in GBP. Feed counts in 1,000 GBP."),
+        ("a", 9.0, "EUR", "Price quoted in US dollars."), ("b", 9.0, "EUR", both), ("a", 900.0, "cents", ""), ("a", -9.0, "EUR", both), ("a", 900.0, "EUR", "Price quoted in cents."), ("a", 140000.0, "?", "Held in cents."), ("a", 950.0, "?", "Held in cents."),
+    ]
+    want = [("known", 1000)] * 3 + [
+        ("ranked", 990), ("ranked", 990), ("ranked", 900), ("ranked", 1050), ("non_unique", None),
+        ("non_unique", None), ("non_unique", None), ("non_unique", None), ("non_unique", None), ("known", 990), ("inferred", 980), ("non_unique", None),
+    ]
+    assert priced(spark, rows) == dict(enumerate(want))
+    spark.createDataFrame([(i, p, t, (a, c)) for i, (p, a, c, t) in enumerate(rows)], "rec_id bigint, id string, description string, price struct<amount:double,currency:string>").write.parquet(f"{tmp_path}/products.parquet")
+    spark.createDataFrame([("USD", 1.0), ("EUR", 1.1), ("GBP", 1.3), ("JPY", 0.007), ("KWD", 3.0), ("CHF", 1.2)], "currency_code string, usd_per_unit double").write.parquet(f"{tmp_path}/fx_rates.parquet")
+    assert {tuple(r) for r in core_queries.QUERIES["p3_found"](spark, str(tmp_path)).collect()} == {(i, w[1]) for i, w in enumerate(want) if w[0] in ("known", "ranked")}
